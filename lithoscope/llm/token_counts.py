@@ -51,7 +51,7 @@ class Counts:
         # The library puts one space before each text: that is the first space of a run.
         ids = self.sp.encode([x[1:] if x[0] == " " else x for x in new], num_threads=1)
         for x, got in zip(new, ids):
-            self.known[x] = len(got) - self.one if x[0] == "\n" else len(got)
+            self.known[x] = 1 if x == " " else len(got) - self.one if x[0] == "\n" else len(got)  # no text stands for one space
 
     def of(self, texts: list[str]) -> list[int]:
         split = [pretokens(t) for t in texts]
