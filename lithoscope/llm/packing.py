@@ -15,9 +15,9 @@ from __future__ import annotations
 import zlib
 from array import array
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lithoscope.llm import tokenizers_files
 from lithoscope.llm.common import Table, text_of
@@ -150,22 +150,24 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """The pieces (doc_id, piece, length, and what else they carry) with sequence_id and offset."""
-    schema = pieces.schema.add("shard", "long").add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema.fields, *(StructField(n, LongType()) for n in ("shard", "sequence_id", "offset"))])
     shards = max(1, -(-pieces.count() // shard))
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece"], ignore_index=True)
-        lengths = group["length"].tolist()
+    def one(group):
+        import pyarrow as pa
+
+        group = group.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+        lengths, number = group["length"].to_pylist(), group["shard"][0].as_py()
         sequence, offset = [0] * len(lengths), [0] * len(lengths)
         for k, held in enumerate(best_two_fit(lengths, capacity)):
             at = 0
             for i in held:
-                sequence[i], offset[i] = k, at
+                sequence[i], offset[i] = (number << 32) + k, at
                 at += lengths[i]
-        return group.assign(sequence_id=group["shard"] * (1 << 32) + pd.Series(sequence, dtype="int64"), offset=pd.Series(offset, dtype="int64"))
+        return group.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(one, schema).drop("shard")
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(one, schema).drop("shard")
 
 
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, **tokenising) -> DataFrame:
