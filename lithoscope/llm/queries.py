@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoscope.llm import bpe, exact_dedup, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from lithoscope.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, substring_dedup, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -27,6 +31,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(documents(spark, sf_dir)).select("doc_id", "n_entities", "text")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
     return quality.quality(documents(spark, sf_dir), trusted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -48,5 +56,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_substring_dedup, op4_bpe_round_trip, op6_quality_rules, op7_best_fit_packing, op8_token_counts, op9_near_dedup, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_substring_dedup, op4_bpe_round_trip, op5_pii, op6_quality_rules, op7_best_fit_packing, op8_token_counts, op9_near_dedup, op10_exact_dedup)}
 ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE}
