@@ -1,9 +1,10 @@
 """Groups from candidate buckets, without all pairs of a bucket: connected components of verified links.
 
-A bucket says that its members may be alike. First each member is tried against its bucket's smallest member (a star);
-what is verified joins components. Then only buckets whose members are still in several components are tried again,
-and only pairs across components, kept only if a cheap test on their signatures lets them pass. So a large group of
-copies costs one trial per member, and yet no link between components is lost.
+A bucket says that its members may be alike; its smallest member is its pivot. First each node is tried against the
+smallest of its buckets' pivots, then against those of its other buckets that are in another component still; what is
+verified joins components. Then only buckets whose members are in several components are tried again, and only pairs
+across components, kept only if a cheap test on their signatures lets them pass. So a large group of copies costs about
+one trial per member, and yet no link between components is lost.
 """
 
 from __future__ import annotations
@@ -58,6 +59,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels.df if labels else spark.createDataFrame([], NODES)
 
 
+def named(rows: DataFrame, labels: DataFrame, node: str, component: str) -> DataFrame:
+    """rows with their node's component, which is the node itself where it has no link yet."""
+    own = labels.select(F.col("node").alias(node), F.col("component").alias(component))
+    return attach(rows, own, [node]).withColumn(component, F.coalesce(component, node))
+
+
 def link_buckets(members: DataFrame, payload: DataFrame, likely: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node and component of every node with a link.
 
@@ -67,24 +74,32 @@ def link_buckets(members: DataFrame, payload: DataFrame, likely: Callable[[str,
     signature = payload.select("node", F.struct(*[c for c in payload.columns if c != "node"]).alias("p"))
     sizes = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot < most")
     shared = Table(attach(members, sizes.drop("most"), ["bucket"], "inner"), "buckets")
-    stars = Table(shared.df.filter("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    pairs = attach(attach(stars.df, signature.select(F.col("node").alias("b"), F.col("p").alias("pb")), ["b"], "inner"), signature.select(F.col("node").alias("a"), F.col("p").alias("pa")), ["a"], "inner")
-    first = Table(verify(Table(pairs.filter(likely("pa", "pb")).select("a", "b"), "likely").df), "links")
-    labels = connected_components(first.df)
-
-    named = attach(shared.df, labels, ["node"]).withColumn("component", F.coalesce("component", "node"))
-    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("low", "high")
-    contested = Table(attach(attach(named, several, ["bucket"], "inner"), signature, ["node"], "inner"), "contested")
-    if contested.df.isEmpty():
-        return labels
+    stars = shared.df.filter("pivot < node")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        near = attach(attach(pairs, signature.select(F.col("node").alias("b"), F.col("p").alias("pb")), ["b"], "inner"), signature.select(F.col("node").alias("a"), F.col("p").alias("pa")), ["a"], "inner")
+        return verify(Table(near.filter(likely("pa", "pb")).select("a", "b"), "likely").df)
+
+    def grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+        trees = labels.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        return connected_components(links.select("a", "b").unionAll(trees))
+
+    # One trial for each node: the smallest pivot of all its buckets.
+    once = Table(stars.groupBy("node").agg(F.min("pivot").alias("a")).select("a", F.col("node").alias("b")), "stars").df
+    labels = connected_components(confirmed(once))
+    # The pivots of other buckets, where they are of another component still.
+    others = named(named(stars, labels, "node", "cn"), labels, "pivot", "cp").filter("cn <> cp").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    others = Table(others.join(once, ["a", "b"], "left_anti"), "stars").df
+    if not others.isEmpty():
+        labels = grown(labels, confirmed(others))
+    # Pairs across the components that are left in a bucket.
+    rows = named(shared.df, labels, "node", "component")
+    several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    contested = Table(attach(attach(rows.filter("node > pivot"), several, ["bucket"], "inner"), signature, ["node"], "inner"), "contested")
     # The pivot has been tried against every member. Both sides are ordinary exchanges, so AQE splits a hot bucket.
-    x = contested.df.filter("node > pivot").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("p").alias("pa"))
-    y = contested.df.filter("node > pivot").select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("p").alias("pb"))
+    x = contested.df.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("p").alias("pa"))
+    y = contested.df.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("p").alias("pb"))
     across = x.join(y, (F.col("bucket") == F.col("bucket_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & likely("pa", "pb"))
     tried = Table(across.select("a", "b").distinct(), "across")
     contested.drop()
-    if tried.df.isEmpty():
-        return labels
-    second = verify(tried.df)
-    trees = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return connected_components(second.select("a", "b").unionAll(trees))
+    return labels if tried.df.isEmpty() else grown(labels, verify(tried.df))
