@@ -47,7 +47,11 @@ def script_files(files: DataFrame) -> DataFrame:
 
 def matches(files: DataFrame, patterns, group: int) -> DataFrame:
     """path, kind, nth, found: all matches of all (kind, pattern), one pass over the files."""
-    arrays = [F.transform(F.regexp_extract_all("text", F.lit(p), group), lambda m, i, k=k, o=o: F.struct(F.lit(k).alias("kind"), F.lit(o).alias("form"), i.alias("nth"), m.alias("found"))) for o, (k, p) in enumerate(patterns)]
+    def found(form: int, kind: str, pattern: str):
+        row = lambda m, i: F.struct(F.lit(kind).alias("kind"), F.lit(form).alias("form"), i.alias("nth"), m.alias("found"))
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), group), row)
+
+    arrays = [found(form, kind, pattern) for form, (kind, pattern) in enumerate(patterns)]
     return files.select("path", F.inline(F.concat(*arrays)))
 
 
@@ -75,9 +79,9 @@ def normal_spec(spec):
 def extract_exports(files: DataFrame) -> DataFrame:
     """path, name, kind of exported symbols; of several declarations of a name in a file the first form counts."""
     declared = matches(files, EXPORTS, 1).select("path", "form", F.col("found").alias("name"), "kind")
-    block = F.explode(F.regexp_extract_all("text", F.lit(EXPORT_BLOCK), 1)).alias("block")
-    item = F.regexp_replace(F.explode(F.split("block", ",")), rf"^{WS}+|{WS}+$", "")
-    named = files.select("path", block).select("path", item.alias("item")).select("path", F.split("item", f"{WS}+as{WS}+")[0].alias("item"))
+    blocks = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(EXPORT_BLOCK), 1)).alias("block"))
+    items = blocks.select("path", F.explode(F.split("block", ",")).alias("item")).select("path", F.regexp_replace("item", rf"^{WS}+|{WS}+$", "").alias("item"))
+    named = items.select("path", F.split("item", f"{WS}+as{WS}+")[0].alias("item"))
     named = named.select("path", F.lit(len(EXPORTS)).alias("form"), F.element_at(F.split("item", f"{WS}+"), -1).alias("name"), F.lit("export").alias("kind")).filter(F.col("name").rlike("^[A-Za-z0-9_]+$"))
     first = declared.unionByName(named).groupBy("path", "name").agg(F.min_by("kind", "form").alias("kind"))
     return first

@@ -52,11 +52,11 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRADE_SQL = """
-trade AS (
-  SELECT src, dst FROM (
-    SELECT c_nationkey AS src, s_nationkey AS dst, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, s_nationkey) AS r
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE c_nationkey <> s_nationkey GROUP BY ALL) WHERE r <= 1 + src % 7)
+weights AS (
+  SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE c_nationkey <> s_nationkey GROUP BY c_nationkey, s_nationkey),
+trade AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r FROM weights) WHERE r <= 1 + src % 7)
 """
 
 #: Lines of a nation's file: (condition, line), `{k}` being its key.
@@ -65,7 +65,8 @@ LINES = (
     ("k % 4 = 0", "fs.writeFileSync('o');"),
     ("k % 5 = 0", "  setTimeout(f, 1);"),
     ("k % 6 = 0", "http.createServer(f); https . createServer(f);"),
-    ("k % 7 = 0", "child_process.exec(c); re.exec(s);"),
+    ("k % 7 = 0", "child_process.exec(c);"),
+    ("k % 14 = 0", "re.exec(s);"),
     ("k % 9 = 0", "process.env.A_{k} = 1;"),
     ("k % 11 = 0", "s.listen(80, '0.0.0.0');"),
     ("k % 10 = 1", "chokidar.watch('x'); spawn(y);"),
@@ -114,7 +115,7 @@ def rendered_sql() -> str:
 imports0 AS (SELECT src, list(line ORDER BY line) AS imports FROM (SELECT src, {import_line("dst")} AS line FROM trade) GROUP BY src),
 files AS (
   SELECT path, text, octet_length(encode(text)) AS bytes, sha256(text) AS sha256, CASE WHEN path LIKE '%.ts' THEN 'ts' ELSE 'json' END AS lang, false AS is_binary FROM (
-    SELECT 'src/nation_' || n_nationkey || '.ts' AS path, array_to_string(list_concat(coalesce(imports, []), list_filter([{lines}], x -> x IS NOT NULL)), chr(10)) AS text
+    SELECT 'src/nation_' || n_nationkey || '.ts' AS path, array_to_string(list_concat(coalesce(imports, []), list_filter([{lines}], lambda x: x IS NOT NULL)), chr(10)) AS text
     FROM nation LEFT JOIN imports0 ON src = n_nationkey
     UNION ALL SELECT * FROM (VALUES {more.replace(chr(10), "' || chr(10) || '")}) AS v(path, text))),
 scripts AS (SELECT * FROM files WHERE lang = 'ts')
