@@ -87,27 +87,27 @@ def extract_exports(files: DataFrame) -> DataFrame:
     return first
 
 
-def runtime_signals(files: DataFrame) -> DataFrame:
-    """file, line, kind, snippet of every hit.
+def hits(kind: str, pattern: str):
+    """An array of (kind, line, snippet) of a pattern's hits in text.
 
     What lies before a hit follows from the lengths of the gaps and hits so far, so no text is searched twice."""
-    out = []
-    for kind, pattern in SIGNALS.items():
-        hit = files.select("path", "text", F.regexp_extract_all("text", F.lit(pattern), 0).alias("hits")).filter(F.size("hits") > 0)
-        hit = hit.withColumn("gaps", F.split("text", pattern, -1))
-        breaks = lambda s: F.char_length(s) - F.char_length(F.replace(s, F.lit("\n"), F.lit("")))
-        start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<at:int,line:int>>").alias("out"))
-
-        def step(a, x):
-            at, line = a["at"] + F.char_length(x["gaps"]), a["line"] + breaks(x["gaps"])
-            known = x["hits"].isNotNull()
-            done = F.when(known, F.concat(a["out"], F.array(F.struct(at.alias("at"), line.alias("line"))))).otherwise(a["out"])
-            return F.struct((at + F.coalesce(F.char_length(x["hits"]), F.lit(0))).alias("at"), (line + F.coalesce(breaks(x["hits"]), F.lit(0))).alias("line"), done.alias("out"))
-
-        placed = hit.select("path", "text", F.explode(F.aggregate(F.arrays_zip("gaps", "hits"), start, step, lambda a: a["out"])).alias("p"))
-        snippet = F.split(F.substr("text", F.col("p.at"), F.lit(SNIPPET)), "\r?\n")[0]
-        out.append(placed.select(F.col("path").alias("file"), F.col("p.line").alias("line"), F.lit(kind).alias("kind"), snippet.alias("snippet")))
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionAll(more)
-    return result
+    breaks = lambda s: F.char_length(s) - F.char_length(F.replace(s, F.lit("\n"), F.lit("")))
+    parts = F.zip_with(F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), 0), lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<at:int,line:int>>").alias("out"))
+
+    def step(a, x):
+        at, line = a["at"] + F.char_length(x["gap"]), a["line"] + breaks(x["gap"])
+        done = F.when(x["hit"].isNotNull(), F.concat(a["out"], F.array(F.struct(at.alias("at"), line.alias("line"))))).otherwise(a["out"])
+        return F.struct((at + F.coalesce(F.char_length(x["hit"]), F.lit(0))).alias("at"), (line + F.coalesce(breaks(x["hit"]), F.lit(0))).alias("line"), done.alias("out"))
+
+    placed = F.aggregate(parts, start, step, lambda a: a["out"])
+    snippet = lambda p: F.split(F.substr("text", p["at"], F.lit(SNIPPET)), "\r?\n")[0]
+    return F.transform(placed, lambda p: F.struct(F.lit(kind).alias("kind"), p["line"].alias("line"), snippet(p).alias("snippet")))
+
+
+def runtime_signals(files: DataFrame) -> DataFrame:
+    """file, line, kind, snippet of every hit of every kind, in one pass over the files."""
+    # A kind whose pattern hits nowhere costs one search; the rest is worked out only where there is a hit.
+    none = F.array().cast("array<struct<kind:string,line:int,snippet:string>>")
+    arrays = [F.when(F.col("text").rlike(p), hits(k, p)).otherwise(none) for k, p in SIGNALS.items()]
+    return files.select(F.col("path").alias("file"), F.inline(F.concat(*arrays))).select("file", "line", "kind", "snippet")

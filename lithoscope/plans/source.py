@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from lithoscope.functions.text import is_test_path
@@ -26,46 +28,47 @@ def query(sql: str | None = None, *more: str):
 
 
 class Tree:
-    """The relations of the rendered tree, each planned where it is used."""
+    """The relations of the rendered tree. Those that several others read are kept in memory or on disk; what an executor
+    loses is computed again."""
 
     def __init__(self, spark, d):
-        self.files = rendered(spark, d)
+        self.files = rendered(spark, d).persist()
         self.scripts = extract.script_files(self.files)
         self.nodes = self.scripts.select(F.col("path").alias("id"))
 
-    @property
+    @cached_property
     def edges(self):
-        return resolve.dep_edges(self.scripts, self.files)
+        return resolve.dep_edges(self.scripts, self.files).persist()
 
-    @property
+    @cached_property
     def signals(self):
-        return extract.runtime_signals(self.scripts)
+        return extract.runtime_signals(self.scripts).persist()
 
-    @property
+    @cached_property
     def symbols(self):
         return extract.extract_exports(self.scripts)
 
-    @property
+    @cached_property
     def topology(self):
-        return topology.topology_nodes(self.nodes, self.edges, self.signals)
+        return topology.topology_nodes(self.nodes, self.edges, self.signals).persist()
 
-    @property
+    @cached_property
     def in_repo(self):
         return topology.edges_in_repo(self.edges, self.nodes)
 
-    @property
+    @cached_property
     def cycles(self):
         return graph.cycles(self.nodes, self.edges)
 
-    @property
+    @cached_property
     def gaps(self):
-        return rules.gap_rules(self.signals, self.cycles, rules.has_tests(self.files))
+        return rules.gap_rules(self.signals, self.cycles, rules.has_tests(self.files)).persist()
 
-    @property
+    @cached_property
     def cone(self):
         return graph.neighbours(self.edges, self.nodes, TARGET)
 
-    @property
+    @cached_property
     def tests(self):
         return self.files.filter(is_test_path("path")).select(F.col("path").alias("id"))
 
