@@ -94,7 +94,7 @@ def number_text(x: float | int) -> str:
     digits = "".join(map(str, digits)).rstrip("0") or "0"
     point = len(Decimal(repr(x)).as_tuple().digits) + exponent  # places before the decimal point
     head = "-" if sign else ""
-    if -7 < point <= 0:
+    if -6 < point <= 0:
         return f"{head}0.{'0' * -point}{digits}"
     if 0 < point <= 21:
         return f"{head}{digits[:point]}.{digits[point:]}" if len(digits) > point else head + digits + "0" * (point - len(digits))
