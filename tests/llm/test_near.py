@@ -74,8 +74,6 @@ def test_components(spark, edges):
 
 
 def test_estimate(spark):
-    from pyspark.sql import functions as F
-
     import numpy as np
 
     hasher, rng = near_dedup.MinHash(), np.random.default_rng(1)

@@ -1,7 +1,6 @@
 import zlib
 from array import array
 
-import pandas as pd
 import pytest
 
 from lithoscope.llm import packing, token_counts, tokenizers_files
