@@ -171,3 +171,14 @@ def clock(fixed: str | None = None) -> str:
         return "1970-01-01T00:00:00.000Z"
     datetime.datetime.fromisoformat(fixed.replace("Z", "+00:00"))
     return fixed
+
+
+def snapshot_contracts(folder: str, sources: str | Path, at: str | None = None) -> dict:
+    """Hashes of every artifact's schema and of the sources of a folder (sorted, joined by line breaks), written under folder."""
+    from lithoscope.schemas import ARTIFACTS, VERSION
+
+    texts = [p.read_text(encoding="utf-8") for p in sorted(Path(sources).glob("*.py"))]
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    out = {"versions": {"schema": VERSION}, "timestamp": clock(at), "schemaHashes": {k: digest(v) for k, v in ARTIFACTS.items()}, "cliSourceHash": digest("\n".join(texts))}
+    write_atomic(folder, "contracts_snapshot.json", out)
+    return out

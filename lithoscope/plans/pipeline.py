@@ -74,9 +74,18 @@ def records(df: DataFrame, *order: str) -> list[dict]:
     return [json.loads(r) for r in df.orderBy(*order).select(F.to_json(F.struct("*"))).toPandas().iloc[:, 0]]
 
 
-def run(spark: SparkSession, root: str, out: str, clock: str | None = None, max_files: int = 50_000, max_bytes: int = 2_000_000_000, force: bool = False) -> dict:
-    """Scans a tree, writes all artifacts under out, and returns the ledger entry. A second run gives the same bytes."""
+def run(spark: SparkSession, root: str, out: str, clock: str | None = None, max_files: int = 50_000, max_bytes: int = 2_000_000_000, force: bool = False, command: str = "run") -> dict:
+    """Scans a tree, writes artifacts under out, and returns the ledger entry. A second run gives the same bytes.
+
+    command: how far it goes (scan, map, gaps, essence; any other goes to the end)."""
     at, began = integrity.clock(clock), time.time()
+
+    def finish() -> dict:
+        run_id = integrity.hashlib.sha256(f"{hashes.input_hash}|{at}".encode()).hexdigest()[:12]
+        entry = {"runId": run_id, "atIso": at, "command": command, "repoRoot": root, "inputHash": hashes.input_hash, "outputHash": integrity.folder_output_hash(out, names), "artifacts": sorted(names), "notes": []}
+        integrity.append_ledger(out, entry)
+        return entry
+
     files = read_tree(spark, root)
     integrity.check_guard(integrity.scan_totals(files), force, max_files=max_files, max_bytes=max_bytes)
     a = Analysis(files)
@@ -85,6 +94,8 @@ def run(spark: SparkSession, root: str, out: str, clock: str | None = None, max_
     put = lambda name, value: integrity.write_atomic(out, name, value) and name
     index = records(a.files.select("path", "bytes", "sha256", "lang", F.col("is_binary").alias("isBinary")), "path")
     names = [put(f"snapshots/{hashes.snapshot_id}/fileIndex.json", {"schemaVersion": "1.0", "repoRoot": root, "generatedAtIso": at, "files": index, "totals": {"fileCount": totals.file_count, "totalBytes": totals.total_bytes}})]
+    if command == "scan":
+        return finish()
     names.append(put("facts/runtimeSignals.json", {"schemaVersion": "1.0", "signals": records(a.signals, "file", "line", "kind", "snippet")}))
     edges = records(a.edges.select("from", "to", "kind", F.col("is_external").alias("isExternal")), "from", "to", "kind")
     nodes = [r["id"] for r in records(a.nodes, "id")]
@@ -97,6 +108,8 @@ def run(spark: SparkSession, root: str, out: str, clock: str | None = None, max_
     flows = records(topology.flows(a.topology).select(F.col("flow_id").alias("id"), F.array("id").alias("path"), "kind", F.col("flags").alias("riskFlags")), "id")
     names.append(put("topology/flows.json", {"schemaVersion": "1.0", "flows": flows}))
     done = time.time()
+    if command == "map":
+        return finish()
     gaps = a.gaps().persist()
     summary = {k: v for k, v in rules.gap_summary(gaps).first().asDict().items()}
     listed = records(rules.gap_order(gaps).select(F.col("gap_id").alias("id"), "severity", "title", "evidence", rules.severity_rank(F.col("severity")).alias("o")), "o", "title", "id")
@@ -104,6 +117,8 @@ def run(spark: SparkSession, root: str, out: str, clock: str | None = None, max_
         del g["o"]
     names.append(put("analysis/gaps_report.json", {"schemaVersion": "1.0", "summary": summary, "gaps": listed}))
     names.append(put("analysis/gaps_report.md", rules.gaps_markdown(gaps).first().text))
+    if command == "gaps":
+        return finish()
     stable = score.stability(a.nodes, a.in_repo).persist()
     pack = essence.essence(a.topology, stable, gaps).persist()
     p = pack.first()
@@ -112,6 +127,8 @@ def run(spark: SparkSession, root: str, out: str, clock: str | None = None, max_
     identity = {"runId": run_id, "snapshotId": hashes.snapshot_id, "inputHash": hashes.input_hash}
     names.append(put("essence/pack.json", {"identity": identity, "payload": payload}))
     names.append(put("essence/pack.md", essence.essence_markdown(pack).first().text))
+    if command == "essence":
+        return finish()
     ms = lambda x, y: int(1000 * (y - x))
     put("telemetry.json", {"schemaVersion": "1.0", "scanMs": ms(began, scanned), "graphMs": ms(scanned, graphed), "topologyMs": ms(graphed, done), "totalMs": ms(began, done)})
     ranks, between, gates = a.metrics()
@@ -122,9 +139,7 @@ def run(spark: SparkSession, root: str, out: str, clock: str | None = None, max_
     made = spark.createDataFrame([(n, integrity.hashlib.sha256(integrity.Path(out, n).read_bytes()).hexdigest()) for n in names], "path string, sha256 string")
     artifacts = [{"pathRel": r.path_rel, "sha256": r.sha256} for r in integrity.manifest(made).orderBy("nth").collect()]
     names.append(put("manifest.json", {"schemaVersion": "1.0", "toolVersion": TOOL_VERSION, "repoHash": hashes.input_hash, "snapshotId": hashes.snapshot_id, "runId": run_id, "generatedAtIso": at, "artifacts": artifacts}))
-    entry = {"runId": run_id, "atIso": at, "command": "run", "repoRoot": root, "inputHash": hashes.input_hash, "outputHash": integrity.folder_output_hash(out, names), "artifacts": sorted(names), "notes": []}
-    integrity.append_ledger(out, entry)
-    return entry
+    return finish()
 
 
 def compare(spark: SparkSession, out: str, first: str | None = None, second: str | None = None) -> DataFrame:
@@ -135,3 +150,17 @@ def compare(spark: SparkSession, out: str, first: str | None = None, second: str
 
     index = lambda s: read_artifact(spark, f"{out}/snapshots/{s}/fileIndex.json").select(F.inline("files"))
     return diff.diff_report(index(first), index(second))
+
+
+def inspect(out: str) -> dict:
+    """Counts from the artifacts of the last ledger entry; what isn't there is left out."""
+    entry = integrity.latest_ledger(out)
+    if entry is None:
+        raise ValueError("ledger is empty")
+    found = {"runId": entry["runId"], "command": entry["command"], "artifacts": len(entry["artifacts"])}
+    counts = {"fileIndex": ("files", "files"), "depGraph": ("dependencies", "edges"), "runtimeSignals": ("signals", "signals"), "flows": ("flows", "flows"), "gaps_report": ("gaps", "gaps")}
+    for path in entry["artifacts"]:
+        name = path.rpartition("/")[2].removesuffix(".json")
+        if name in counts and integrity.Path(out, path).exists():
+            found[counts[name][0]] = len(json.loads(integrity.Path(out, path).read_text(encoding="utf-8"))[counts[name][1]])
+    return found

@@ -54,3 +54,18 @@ def test_entry_has_core_queries():
 
     queries, oracles = e.queries(), e.oracle_sql()
     assert set(oracles) <= set(queries) and {"scan_files", "dep_edges", "pagerank", "gap_rules"} <= set(queries)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lithoscope.__main__ import main
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r/a.ts").write_text("import './b';\n")
+    (tmp_path / "r/b.ts").write_text("export const b = 1;\n")
+    at = ["--root", str(tmp_path / "r"), "--out", str(tmp_path / "o"), "--clock", "2000-01-01T00:00:00.000Z"]
+    assert main(["map", *at]) == 0 and main(["inspect", *at]) == 0
+    assert '"dependencies": 1' in capsys.readouterr().out
+    assert main(["verify", *at]) == 0 and main(["audit", "--budget", "9"]) == 1
+    assert main(["impact", "--target", "b.ts", *at]) == 0 and '"reverse"' in capsys.readouterr().out
+    assert main(["export", "--format", "dot", *at]) == 0 and list((tmp_path / "o/export/dot").glob("part-*"))
+    assert main(["snapshot-contracts", *at]) == 0 and main(["status", *at]) == 0

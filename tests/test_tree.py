@@ -3,8 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from lithoscope.operators import diff, graph, integrity
 from lithoscope.plans.pipeline import Analysis, compare, run
 from lithoscope.sources.tree import list_snapshots, read_tree
