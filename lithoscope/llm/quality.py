@@ -119,6 +119,9 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, b
 
 
 def keep_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs (any columns) that the rules keep."""
-    good = quality(docs, trusted, threshold).filter("kept").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
+    """The rows of docs (any columns) that the rules keep.
+
+    The verdicts are written first: a filter on them would be pushed into the measures, and work them out again."""
+    judged = Table(quality(docs, trusted, threshold).select("doc_id", "row_hash", "kept"), "verdicts").df
+    good = judged.filter("kept").select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
     return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of("text")) == F.col("__hash")), "left_semi")
