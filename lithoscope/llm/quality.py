@@ -1,8 +1,10 @@
 """Quality rules: base rules, and a hashed n-gram log-likelihood ratio between trusted target and raw corpus.
 
 Words and word pairs are hashed into BUCKETS. Their counts over all documents make the raw multinomial, their counts over
-the trusted documents the target's; a document's score is the mean over its n-grams of the log of the two smoothed
-probabilities' ratio. A document is kept if it passes the base rules and its score is at least THRESHOLD.
+the trusted documents the target's. Both are brought to the target's size and smoothed by SMOOTHING a bucket, so that an
+n-gram that the corpus hardly has says hardly anything, whichever side it is on. A document's score is the mean over its
+n-grams of the log of the two probabilities' ratio. It is kept if it passes the base rules and its score is at least
+THRESHOLD.
 
 The trusted documents are those with the TRUSTED smallest hashes among the given ids, so what is broadcast is bounded:
 TRUSTED ids, and one number for each of BUCKETS buckets. Everything runs on built-in functions.
@@ -24,8 +26,8 @@ from lithoscope.llm.common import Table, text_of, without_spaces, words_of
 
 BUCKETS = 1 << 18
 TRUSTED = 20_000
-SMOOTHING = 0.5
-THRESHOLD = -0.3
+SMOOTHING = 4.0
+THRESHOLD = -0.15
 #: Characters that count as symbols. Fixed values.
 SYMBOLS = "#*$%&|<>"
 PLACE = (1 << 24) - 1
@@ -89,8 +91,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothin
     table = Table(counts, "ngrams").df
     sums = table.agg(F.sum("raw"), F.sum("aim")).first()
     raw, aim = (float(x or 0) for x in sums)
-    share = lambda c, total: F.log((F.col(c) + smoothing) / (total + smoothing * buckets))
-    return table.select("bucket", (share("aim", aim) - share("raw", raw) if aim else F.lit(0.0)).alias("llr"))
+    expected = F.col("raw") * (aim / raw if raw else 0.0)
+    return table.select("bucket", F.log((F.col("aim") + smoothing) / (expected + smoothing)).alias("llr"))
 
 
 def scores(docs: DataFrame, llr: DataFrame, buckets: int = BUCKETS) -> DataFrame:
