@@ -51,6 +51,8 @@ class Table:
         self.path = os.path.join(shared_folder(self.spark), f"lithoscope-{name}-{uuid.uuid4().hex}")
         schema = df.schema
         df.write.parquet(self.path)
+        # Spark removes a finished plan's shuffle files when the driver collects its garbage; long chains would fill disks.
+        self.spark._jvm.System.gc()
         self.df = self.spark.read.schema(schema).parquet(self.path)
         atexit.register(self.drop)
 
@@ -74,3 +76,10 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "left
     part = F.xxhash64(*keys)
     joined = rows.withColumn("__part", part).join(groups.withColumn("__part", part), [*keys, "__part"], how)
     return joined.drop("__part")
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """The rows whose key is in keys, a written table: broadcast up to `most` keys (16 MB), shuffled beyond."""
+    if keys.count() <= most:
+        return rows.join(F.broadcast(keys), key, "left_semi")
+    return attach(rows, keys, [key], "left_semi")
