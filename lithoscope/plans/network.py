@@ -217,6 +217,15 @@ def weak_components_large(spark, d):
     return graph.weak_components(nodes, edges)
 
 
+@query()
+def weak_components_all(spark, d):
+    """Components of the whole customer-supplier graph. DuckDB's recursion would hold all pairs of each component, so it has no SQL."""
+    links = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = links.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("from"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("to")).distinct()
+    nodes = edges.select(F.explode(F.array("from", "to")).alias("id")).distinct()
+    return graph.weak_components(nodes, edges)
+
+
 CONE_SQL = """, d1 AS (SELECT DISTINCT b AS id FROM edges WHERE a = 'n03'), r1 AS (SELECT DISTINCT a AS id FROM edges WHERE b = 'n03'),
 cone AS (SELECT 'direct' AS relation, id FROM d1 UNION ALL SELECT 'reverse', id FROM r1
   UNION ALL SELECT DISTINCT 'depth2', b FROM edges WHERE a IN (FROM d1) AND b <> 'n03' AND b NOT IN (FROM d1)
