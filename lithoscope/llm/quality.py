@@ -6,8 +6,8 @@ n-gram that the corpus hardly has says hardly anything, whichever side it is on.
 n-grams of the log of the two probabilities' ratio. It is kept if it passes the base rules and its score is at least
 THRESHOLD.
 
-The trusted documents are those with the TRUSTED smallest hashes among the given ids, so what is broadcast is bounded:
-TRUSTED ids, and one number for each of BUCKETS buckets. Everything runs on built-in functions.
+All the given ids are trusted; they are joined by a shuffle. Only one number for each of BUCKETS buckets is broadcast.
+Everything runs on built-in functions.
 
 Repeated three-word windows are found inside each document: 64-bit hashes of the windows are packed with their places
 (40 and 24 bits) and sorted, and neighbours with equal hashes are repeats. Where two hashes share 40 bits, and in
@@ -22,10 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoscope.llm.common import Table, text_of, without_spaces, words_of
+from lithoscope.llm.common import Table, attach, text_of, without_spaces, words_of
 
 BUCKETS = 1 << 18
-TRUSTED = 20_000
 SMOOTHING = 4.0
 THRESHOLD = -0.15
 #: Characters that count as symbols. Fixed values.
@@ -85,8 +84,8 @@ def ngrams(docs: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFram
 
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """bucket and llr of every bucket of docs (doc_id, text); trusted: ids (doc_id)."""
-    chosen = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id")).limit(TRUSTED)
-    flagged = docs.join(F.broadcast(chosen.withColumn("target", F.lit(1))), "doc_id", "left")
+    chosen = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    flagged = attach(docs, chosen.withColumn("target", F.lit(1)), ["doc_id"])
     counts = ngrams(flagged, ["target"], buckets).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("aim"))
     table = Table(counts, "ngrams").df
     sums = table.agg(F.sum("raw"), F.sum("aim")).first()
