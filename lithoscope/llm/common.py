@@ -34,9 +34,11 @@ def words_of(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own if it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lithoscope-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -46,11 +48,11 @@ def shared_folder(spark: SparkSession) -> str:
 class Table:
     """A table written in the shared folder: it cuts lineage, survives lost executors, and can be dropped."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, compression: str = "snappy"):
         self.spark = df.sparkSession
         self.path = os.path.join(shared_folder(self.spark), f"lithoscope-{name}-{uuid.uuid4().hex}")
         schema = df.schema
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, compression=compression)
         # Spark removes a finished plan's shuffle files when the driver collects its garbage; long chains would fill disks.
         self.spark._jvm.System.gc()
         self.df = self.spark.read.schema(schema).parquet(self.path)
@@ -66,6 +68,22 @@ class Table:
             pass
 
 
+def small(batches, size: int):
+    """Arrow batches cut to at most `size` rows; at the end the worker hands unused memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """rows joined with one row per key of groups, where a key may hold a third of all rows.
 

@@ -20,15 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lithoscope.llm import tokenizers_files
-from lithoscope.llm.common import Table, text_of
+from lithoscope.llm.common import Table, small, text_of
 
 CAPACITY = 1024
 SHARD = 8192
+MOST_PARTITIONS = 20_000
 TOKENIZER = "byte_bpe_50k.json"
 SAME_RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 END = 2
-CACHE = 400_000
+#: Bytes of words and ids that a worker keeps, with ENTRY for the objects of each; longer words than WORD aren't kept.
+CACHE, ENTRY, WORD = 32_000_000, 200, 64
+#: Rows of a batch that are worked on at once.
+AT_ONCE = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,18 +40,24 @@ class Encoder:
     """Ids as the tokenizers library gives them, four little-endian bytes each.
 
     Where every white-space run is one space or one line break, a text falls into words that are encoded
-    independently; each worker keeps the words it has met (bounded by CACHE). Other texts go to the library whole.
+    independently; each worker keeps the words it has met, up to CACHE bytes. Other texts go to the library whole.
     """
 
     def __init__(self, tokenizer: str = TOKENIZER, ranks: str = SAME_RANKS):
-        self.hf = tokenizers_files.hf(tokenizer)
+        self.tokenizer = tokenizer
         self.ranked = tokenizers_files.ranked(ranks)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def word(self, word: str) -> bytes:
         """A word's ids: with the space before it, or with the line break it starts with."""
         got = array("I", self.ranked.encode_ordinary(word if word[0] == "\n" else " " + word)).tobytes()
-        self.known[word] = got
+        if len(word) <= WORD:
+            self.held += ENTRY + 4 * len(word) + len(got)
+            if self.held > CACHE:
+                self.known.clear()
+                self.held = 0
+            self.known[word] = got
         return got
 
     def __call__(self, text: str) -> bytes:
@@ -55,9 +65,7 @@ class Encoder:
             return b""
         words = text.split()
         if SPECIAL in text or words != text.replace("\n", " ").split(" "):
-            return array("I", self.hf.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.known) > CACHE:
-            self.known.clear()
+            return array("I", tokenizers_files.hf(self.tokenizer).encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = text.replace("\n", " \n").split(" ")
         known, word = self.known, self.word
         return array("I", self.ranked.encode_ordinary(first)).tobytes() + b"".join([known.get(w) or word(w) for w in rest])
@@ -74,7 +82,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "d
 
         encode = ENCODERS.setdefault((tokenizer, ranks), Encoder(tokenizer, ranks))
         last = array("I", [end]).tobytes()
-        for batch in batches:
+        for batch in small(batches, AT_ONCE):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py()) + last
@@ -152,6 +160,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     """The pieces (doc_id, piece, length, and what else they carry) with sequence_id and offset."""
     schema = StructType([*pieces.schema.fields, *(StructField(n, LongType()) for n in ("shard", "sequence_id", "offset"))])
     shards = max(1, -(-pieces.count() // shard))
+    partitions = min(shards, MOST_PARTITIONS)  # several shards to one beyond that; each is a group of its own
 
     def one(group):
         import pyarrow as pa
@@ -166,8 +175,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
                 at += lengths[i]
         return group.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(one, schema).drop("shard")
+    # All columns: the different texts of one doc_id spread over the shards.
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(*pieces.columns), F.lit(shards)))
+    return dealt.repartition(partitions, "shard").groupBy("shard").applyInArrow(one, schema).drop("shard")
 
 
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, **tokenising) -> DataFrame:
