@@ -1,10 +1,11 @@
 """Groups from candidate buckets, without all pairs of a bucket: connected components of verified links.
 
-A bucket says that its members may be alike; its smallest member is its pivot. First each node is tried against the
-smallest of its buckets' pivots, then against those of its other buckets that are in another component still; what is
-verified joins components. Then only buckets whose members are in several components are tried again, and only pairs
-across components, kept only if a cheap test on their signatures lets them pass. So a large group of copies costs about
-one trial per member, and yet no link between components is lost.
+A bucket says that its members may be alike. Its pivot is the member that shares the most with others (the sum of its
+buckets' sizes), so that of a group of altered copies the least altered one is tried first. Each node is tried against
+the heaviest of its buckets' pivots, then against those of its other buckets that are in another component still; what
+is verified joins components. Then only buckets whose members are in several components are tried again, and only pairs
+across components. Up to HOT members these are all such pairs. In larger buckets their number would grow with the square
+of the size; there `across` names those that can be links, from what both have that the common pivot hasn't.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from lithoscope.llm.common import Table, attach
 
 NODES = "node long, component long"
+HOT = 64
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -65,16 +67,25 @@ def named(rows: DataFrame, labels: DataFrame, node: str, component: str) -> Data
     return attach(rows, own, [node]).withColumn(component, F.coalesce(component, node))
 
 
-def link_buckets(members: DataFrame, payload: DataFrame, likely: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(members: DataFrame, payload: DataFrame, likely: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame] | None = None, hot: int = HOT) -> DataFrame:
     """node and component of every node with a link.
 
     members: (bucket, node) distinct; payload: one row per node (node, signature columns). likely(x, y) tests two
-    payloads, structs of those names; verify keeps the true links of pairs (a, b).
+    payloads, structs of those names; verify keeps the true links of pairs (a, b). across(rows) takes (pivot, home,
+    node, component) of crowded buckets, home being the pivot's component, and gives the pairs of one pivot that can be
+    links across components.
     """
     signature = payload.select("node", F.struct(*[c for c in payload.columns if c != "node"]).alias("p"))
-    sizes = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot < most")
-    shared = Table(attach(members, sizes.drop("most"), ["bucket"], "inner"), "buckets")
-    stars = shared.df.filter("pivot < node")
+    sizes = Table(members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    joined = Table(attach(members, sizes.df, ["bucket"], "inner"), "members")
+    sizes.drop()
+    weights = joined.df.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = Table(attach(joined.df, weights, ["node"], "inner"), "weighed")
+    joined.drop()
+    pivots = weighed.df.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("p"))
+    shared = Table(attach(weighed.df.drop("weight"), pivots.select("bucket", F.col("p.w").alias("w"), F.col("p.node").alias("pivot")), ["bucket"], "inner"), "buckets")
+    weighed.drop()
+    stars = shared.df.filter("pivot <> node")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         near = attach(attach(pairs, signature.select(F.col("node").alias("b"), F.col("p").alias("pb")), ["b"], "inner"), signature.select(F.col("node").alias("a"), F.col("p").alias("pa")), ["a"], "inner")
@@ -84,22 +95,35 @@ def link_buckets(members: DataFrame, payload: DataFrame, likely: Callable[[str,
         trees = labels.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         return connected_components(links.select("a", "b").unionAll(trees))
 
-    # One trial for each node: the smallest pivot of all its buckets.
-    once = Table(stars.groupBy("node").agg(F.min("pivot").alias("a")).select("a", F.col("node").alias("b")), "stars").df
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    # One trial for each node: the heaviest pivot of all its buckets.
+    heaviest = stars.groupBy("node").agg(F.min(F.struct("w", "pivot")).alias("p"))
+    once = Table(heaviest.select(F.col("p.pivot").alias("x"), F.col("node").alias("y")).select(*pair).distinct(), "stars").df
     labels = connected_components(confirmed(once))
     # The pivots of other buckets, where they are of another component still.
-    others = named(named(stars, labels, "node", "cn"), labels, "pivot", "cp").filter("cn <> cp").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    others = named(named(stars, labels, "node", "cn"), labels, "pivot", "cp").filter("cn <> cp").select(F.col("pivot").alias("x"), F.col("node").alias("y")).select(*pair).distinct()
     others = Table(others.join(once, ["a", "b"], "left_anti"), "stars").df
     if not others.isEmpty():
         labels = grown(labels, confirmed(others))
     # Pairs across the components that are left in a bucket.
     rows = named(shared.df, labels, "node", "component")
     several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    contested = Table(attach(attach(rows.filter("node > pivot"), several, ["bucket"], "inner"), signature, ["node"], "inner"), "contested")
-    # The pivot has been tried against every member. Both sides are ordinary exchanges, so AQE splits a hot bucket.
-    x = contested.df.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("p").alias("pa"))
-    y = contested.df.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("p").alias("pb"))
-    across = x.join(y, (F.col("bucket") == F.col("bucket_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & likely("pa", "pb"))
-    tried = Table(across.select("a", "b").distinct(), "across")
+    contested = Table(attach(rows.filter("node <> pivot"), several, ["bucket"], "inner"), "contested")
+    shared.drop()
+    crowded = contested.df.filter(F.col("size") > hot) if across else contested.df.limit(0)
+    # A crowded bucket's members under one pivot, the heaviest they have; pairs under one are for `across`.
+    led = Table(crowded.groupBy("node").agg(F.min("component").alias("component"), F.min(F.struct("w", "pivot")).alias("p")).select("node", "component", F.col("p.pivot").alias("leader")), "led")
+    full = attach(attach(contested.df, led.df.drop("component"), ["node"]), signature, ["node"], "inner")
+    full = Table(full.withColumn("leader", F.when(F.col("size") > hot, F.col("leader")) if across else F.lit(None).cast("long")), "contested")
     contested.drop()
+    # The pivot has been tried against every member. Both sides are ordinary exchanges, so AQE splits a hot bucket.
+    x = full.df.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("p").alias("pa"), F.col("leader").alias("la"))
+    y = full.df.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("p").alias("pb"), F.col("leader").alias("lb"))
+    under_one = F.coalesce(F.col("la") == F.col("lb"), F.lit(False))
+    plain = x.join(y, (F.col("bucket") == F.col("bucket_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~under_one & likely("pa", "pb")).select("a", "b")
+    if across and not led.df.isEmpty():
+        plain = plain.unionAll(across(named(led.df.withColumnRenamed("leader", "pivot"), labels, "pivot", "home")))
+    tried = Table(plain.distinct(), "across")
+    full.drop()
+    led.drop()
     return labels if tried.df.isEmpty() else grown(labels, verify(tried.df))

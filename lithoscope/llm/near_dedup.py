@@ -9,7 +9,7 @@ full sets. A pair at the threshold itself misses all bands with probability (1 -
 Documents with the same set are one node, so copies are never paired.
 
 Cases: null counts as empty. A document without words is linked with nothing; with fewer than WORDS words its whole
-sequence is its one shingle. Rows that share a doc_id are one document. Long texts are hashed in blocks. Other columns
+sequence is its one shingle. Rows that share a doc_id are one document with all their texts, and get one verdict. Long texts are hashed in blocks. Other columns
 play no part. An empty table gives an empty result.
 """
 
@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoscope.llm.common import Table, attach, text_of
-from lithoscope.llm.linking import link_buckets
+from lithoscope.llm.common import Table, attach, small, text_of
+from lithoscope.llm.linking import connected_components, link_buckets
 
 WORDS, HASHES, ROWS, BITS = 5, 128, 4, 4
 THRESHOLD, SLACK = 0.75, 0.2
@@ -87,26 +87,26 @@ class MinHash:
 
 
 def signatures(docs: DataFrame, hashes: int = HASHES, rows: int = ROWS, bits: int = BITS, k: int = WORDS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, two fingerprints of the set, bands, packed signature."""
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, packed array<long>"
+    """docs (doc_id, row_hash, text) -> doc_id, row_hash, n_shingles, two fingerprints of the set, bands, packed signature."""
+    schema = "doc_id long, row_hash long, n_shingles long, f1 long, f2 long, bands array<long>, packed array<long>"
 
     def run(batches):
         import pyarrow as pa
 
         hasher = MinHash(hashes, rows, bits)
-        for batch in batches:
+        for batch in small(batches, 512):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, row_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 s = shingles(text.as_py(), k)
                 if not len(s):
-                    out.append((doc_id, 0, 0, 0, None, None))
+                    out.append((doc_id, row_hash, 0, 0, 0, None, None))
                     continue
                 low = hasher.minima(s)
                 with np.errstate(over="ignore"):
                     prints = np.array([s.sum(dtype=np.uint64), mixed(s ^ MIX).sum(dtype=np.uint64)]).view(np.int64)
-                out.append((doc_id, len(s), *prints.tolist(), hasher.bands(low).view(np.int64), hasher.packed(low).view(np.int64)))
-            columns = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2))], names=["doc_id", "n_shingles", "f1", "f2", "bands", "packed"])
+                out.append((doc_id, row_hash, len(s), *prints.tolist(), hasher.bands(low).view(np.int64), hasher.packed(low).view(np.int64)))
+            columns = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 5, *[pa.list_(pa.int64())] * 2))], names=["doc_id", "row_hash", "n_shingles", "f1", "f2", "bands", "packed"])
 
     return docs.mapInArrow(run, schema)
 
@@ -127,44 +127,101 @@ def estimate(x: str, y: str, hashes: int = HASHES, bits: int = BITS) -> Column:
     return (equal - chance) / (1 - chance)
 
 
-def full_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """docs (doc_id, text) -> node, shingles."""
+def full_sets(texts: DataFrame, k: int = WORDS) -> DataFrame:
+    """texts (node, text) -> node, shingles."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [shingles(t, k).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    return docs.mapInArrow(run, "node long, shingles array<long>")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Only the pairs' own texts are read again."""
-    nodes = Table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
-    sets = Table(full_sets(docs.join(nodes.df, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
-    with_b = attach(pairs, sets.df.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), ["b"], "inner")
-    with_a = attach(with_b, sets.df.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), ["a"], "inner")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return with_a.filter(100 * both >= round(100 * threshold) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+        for part in small(batches, 512):
+            sets = [shingles(t, k).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+class Sets:
+    """Full sets of chosen nodes. firsts: (node, doc_id, row_hash), the row whose text stands for the node."""
+
+    def __init__(self, plain: DataFrame, firsts: DataFrame, threshold: float, k: int):
+        self.plain, self.firsts, self.percent, self.k = plain, firsts, round(100 * threshold), k
+
+    def of(self, nodes: DataFrame) -> Table:
+        rows = Table(self.firsts.join(nodes, "node", "left_semi"), "nodes").df
+        return Table(full_sets(self.plain.join(rows, ["doc_id", "row_hash"]).dropDuplicates(["node"]).select("node", "text"), self.k), "sets")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets reach the threshold. Only the pairs' own texts are read again."""
+        sets = self.of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        with_b = attach(pairs, sets.df.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), ["b"], "inner")
+        with_a = attach(with_b, sets.df.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), ["a"], "inner")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return with_a.filter(100 * both >= self.percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+    def across(self, rows: DataFrame) -> DataFrame:
+        """rows (pivot, home, node, component) -> the pairs (a, b) under one pivot, of different components, that can be links.
+
+        home is the pivot's component; of two components one isn't home, so one of the two nodes is an outsider.
+        Alike sets X and Y have at least c = percent (|X| + |Y|) / (100 + percent) in common, of which at most what the
+        pivot's set has of either is inside the pivot. So either X and Y meet in a shingle that the pivot hasn't, or the
+        pivot has c of both; that bounds the other's size, which the join goes by then. A node alike to nothing but the
+        crowd's own text meets nobody."""
+        percent = self.percent
+        sets = self.of(rows.select("node").unionAll(rows.select(F.col("pivot").alias("node"))).distinct())
+        x = attach(rows, sets.df, ["node"], "inner")
+        x = attach(x, sets.df.select(F.col("node").alias("pivot"), F.col("shingles").alias("ps")), ["pivot"], "inner")
+        rest = F.array_except("shingles", "ps")
+        n, inside = F.size("shingles"), F.size("shingles") - F.size(rest)
+        x = Table(x.select("pivot", "home", "node", "component", n.alias("n"), rest.alias("rest"), inside.alias("inside")), "outside")
+        sets.drop()
+        need = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100).cast("int") - F.col("inside"))
+        # Two that have `need` in common meet among all but need - 1 of either, in any one order.
+        prefix = F.slice(F.sort_array("rest"), 1, F.greatest(F.lit(0), F.size("rest") - need + 1))
+        spread = x.df.select("*", F.explode(prefix).alias("key"))
+        met = spread.groupBy("pivot", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("pivot", "key")
+        spread = Table(attach(spread, met, ["pivot", "key"], "inner"), "outside")
+        size_class = lambda size: F.floor(F.log(size) / F.log(F.lit(1.1))).cast("long")
+        least, most = F.ceil(percent * F.col("n") / 100), F.floor((100 + percent) * F.col("inside") / percent) - F.col("n")
+        sized = x.df.withColumn("key", size_class(F.col("n")))
+        reaching = x.df.filter(most >= least).withColumn("key", F.explode(F.sequence(size_class(least), size_class(most))))
+
+        def pairs(outsiders: DataFrame, others: DataFrame) -> DataFrame:
+            x = outsiders.filter("component <> home").select("pivot", "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("inside").alias("ix"), F.col("rest").alias("rx"))
+            y = others.select(F.col("pivot").alias("pivot_y"), F.col("key").alias("key_y"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("inside").alias("iy"), F.col("rest").alias("ry"))
+            sizes = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+            # What they can have in common: all that the pivot has of the lesser, and what they share outside it.
+            common = F.least("ix", "iy") + F.size(F.array_intersect("rx", "ry"))
+            enough = (100 + percent) * common >= percent * (F.col("nx") + F.col("ny"))
+            both = x.join(y, (F.col("pivot") == F.col("pivot_y")) & (F.col("key") == F.col("key_y")) & (F.col("cx") != F.col("cy")) & sizes & enough)
+            return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+        return pairs(spread.df, spread.df).unionAll(pairs(reaching, sized))
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, hashes: int = HASHES, rows: int = ROWS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    signed = Table(signatures(plain, hashes, rows, bits, k), "signatures")
-    filled = signed.df.filter("n_shingles > 0")
-    sets = ["n_shingles", "f1", "f2"]
-    first = filled.groupBy(*sets).agg(F.min("doc_id").alias("node"))
-    nodes = Table(attach(signed.df.select("doc_id", *sets), first, sets), "nodes")
+    text = text_of(text_col)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    signed = Table(signatures(plain, hashes, rows, bits, k).withColumn("node", F.when(F.col("n_shingles") > 0, F.xxhash64("n_shingles", "f1", "f2"))), "signatures")
+    filled = signed.df.filter("node IS NOT NULL")
     # One row for each set: its first document's.
-    firsts = filled.join(first, sets).filter("doc_id = node").dropDuplicates(["doc_id"])
-    own = Table(firsts.select("node", "bands", "packed"), "firsts")
+    first = filled.groupBy("node").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
+    firsts = Table(first.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.row_hash").alias("row_hash")), "firsts").df
+    same = (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("row_hash") == F.col("hash"))
+    own = Table(filled.select("doc_id", "row_hash", "bands", "packed").join(firsts.select("node", F.col("doc_id").alias("id"), F.col("row_hash").alias("hash")), same).dropDuplicates(["node"]).select("node", "bands", "packed"), "nodes")
     members = own.df.select(F.explode("bands").alias("bucket"), "node")
-    labels = link_buckets(members, own.df.select("node", "packed"), lambda x, y: estimate(x, y, hashes, bits) >= threshold - SLACK, lambda pairs: confirmed(pairs, plain, threshold, k))
-    component = F.coalesce("component", "node", "doc_id")
-    out = attach(nodes.df, labels, ["node"])
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    sets = Sets(plain, firsts.filter("doc_id IS NOT NULL"), threshold, k)
+    labels = link_buckets(members, own.df.select("node", "packed"), lambda x, y: estimate(x, y, hashes, bits) >= threshold - SLACK, sets.linked, sets.across)
+    # Rows that share a doc_id are one document: its texts are linked.
+    shared = filled.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("doc_id", "a")
+    shared = Table(shared, "shared").df
+    if not shared.isEmpty():
+        texts = attach(filled.select("doc_id", F.col("node").alias("b")), shared, ["doc_id"], "inner").select("a", "b")
+        labels = connected_components(texts.unionAll(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    named = Table(attach(signed.df.select("doc_id", "n_shingles", "node"), labels, ["node"]).select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component")), "named").df
+    least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = attach(named, least, ["component"]).withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    if not shared.isEmpty():  # a document that has a text without words as well has its other texts' component
+        whole = named.join(shared.select("doc_id"), "doc_id", "left_semi").join(least, "component").groupBy("doc_id").agg(F.min("component_id").alias("of_document"))
+        out = out.join(whole, "doc_id", "left").withColumn("component_id", F.coalesce("of_document", "component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))

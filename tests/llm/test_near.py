@@ -62,6 +62,28 @@ def test_near_dedup_of_few_rows(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(twice).collect()) == [(4, 4, True), (4, 4, True), (5, 5, True)]
 
 
+def test_one_verdict_for_each_document(spark):
+    rows = [(1, "a b c d e f g"), (2, "p q r s t u v"), (2, "a b c d e f g"), (2, None), (3, "P q R s t u v"), (4, None), (4, "x y"), (None, "x y")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, 4, False), (1, 1, True), (2, 1, False), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True)]
+
+
+def test_a_crowd_of_altered_copies(spark):
+    """Hundreds of copies of one text, altered so much that most are alike to the original at most, some to each other only."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    texts = [(0, " ".join(base))]
+    for i in range(1, 260):
+        words = list(base) if i % 9 else base[: 80 - i % 2]
+        for j in range(rng.randint(0, 9)):
+            words[rng.randrange(len(words))] = f"x{i // 3 if i % 5 == 0 else i}_{j}"
+        texts.append((i, " ".join(words)))
+    got = near_dedup.near_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    want = brute(texts)
+    assert len({c for _, c in want.values()}) > 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(40)], [(5, 4), (4, 3), (9, 9), (8, 7), (3, 1), (7, 1)]])
 def test_components(spark, edges):
     root = {x: x for e in edges if e[0] != e[1] for x in e}
