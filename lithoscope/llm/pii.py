@@ -13,7 +13,10 @@ A mention takes its own punctuation and case from the text.
 
 Everything runs on built-in functions. Counting, drawing and checking work on distinct entities; a frequent entity is joined
 by AQE's skew join. Cases: null texts stay null; texts without entities stay as they are. Repeated rows get the same
-replacements. Other columns stay as they are. An empty table gives an empty result.
+replacements. Other columns stay as they are, whatever their names; n_entities is
+replaced. Very long texts are matched whole, each start in one pass over a word. Ties of a collision go to the smallest
+canonical form. Where an entity finds no free surrogate in MOST_DRAWS draws, the run fails and says so. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,10 @@ from pyspark.sql import functions as F
 
 from lithoscope.llm.common import Table, attach, text_of
 
-KEY = "lithoscope"
+#: The key if neither an argument nor the session's KEY_SETTING gives one. It is public: give your own.
+KEY, KEY_SETTING = "lithoscope", "spark.lithoscope.pii.key"
+#: Draws of one entity before the run fails; names get longer with each, the other kinds have as many forms as their shape.
+MOST_DRAWS = 64
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Titles by gender. Fixed values.
 MALE = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Sr", "Señor", "г-н")
@@ -71,7 +77,7 @@ def canonical(kind: Column, mention: Column) -> Column:
 def mentions(plain: DataFrame) -> DataFrame:
     """plain (KEYS, __text) -> KEYS, nth, part, mention, kind, canon: a row for each entity, persons by their names."""
     found = plain.select(*KEYS, F.posexplode(F.regexp_extract_all("__text", F.lit(ANY), 0)).alias("nth", "mention"))
-    found = found.select("*", kind_of(F.col("mention")).alias("kind"))
+    found = Table(found.select("*", kind_of(F.col("mention")).alias("kind")), "found").df
     male, female = (rf"^(?:{'|'.join(t)})\b" for t in (MALE, FEMALE))
     gender = F.when(F.col("mention").rlike(female), "f").when(F.col("mention").rlike(male), "m").otherwise("n")
     script = lambda c: F.when(c.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
@@ -158,7 +164,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     Each round draws again for those that lost a collision; the rounds end when nobody did. An attempt adds freedom for
     names; the other kinds have far more forms than a corpus has entities."""
     originals = Table(entities.select("kind", "canon"), "entities")
-    settled = None
+    settled, rounds = None, 0
     waiting = originals.df.withColumn("attempt", F.lit(0))
     while True:
         tried = Table(drawn(waiting, key), "drawn")
@@ -176,6 +182,10 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         tried.drop()
         if waiting.isEmpty():
             return settled
+        rounds += 1
+        if rounds >= MOST_DRAWS:
+            kinds = [r.kind for r in waiting.select("kind").distinct().collect()]  # as many as PATTERNS has, with scripts and genders
+            raise ValueError(f"no free surrogates are left for some entities of {', '.join(sorted(kinds))}")
 
 
 def rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
@@ -187,11 +197,12 @@ def rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("card", "ssn", "phone", "iban"), laid).when((kind == "email") | kind.startswith("family") | kind.startswith("given"), cased).when((kind == "secret") & mention.rlike("^[0-9A-F]+$"), F.upper(surrogate)).otherwise(surrogate)
 
 
-def replace_pii(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_pii(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col's entities replaced, and n_entities (what it replaces, if docs has one)."""
     text = text_of(text_col)
-    keyed = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text)})
-    found = Table(mentions(keyed.select(*KEYS, text.alias("__text"))).distinct(), "mentions").df
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
+    keyed = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__text"), F.struct("*").alias("__row"))
+    found = Table(mentions(keyed.select(*KEYS, "__text")).distinct(), "mentions").df
     chosen = Table(surrogates(found.select("kind", "canon").distinct(), key), "surrogates").df
     named = attach(found, chosen, ["kind", "canon"]).withColumn("new", rendered(F.col("kind"), F.col("mention"), F.col("surrogate")))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("part", "new"))), lambda x: x["new"])
@@ -199,10 +210,11 @@ def replace_pii(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_co
     by_row = by_mention.groupBy(*KEYS).agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "new"))), lambda x: x["new"]).alias("__new"))
     by_row = by_row.select(F.col("__id").alias("__eid"), F.col("__hash").alias("__ehash"), "__new")
     joined = keyed.join(by_row, F.col("__id").eqNullSafe(F.col("__eid")) & (F.col("__hash") == F.col("__ehash")), "left")
-    old = F.regexp_extract_all(text, F.lit(ANY), 0)
-    joined = joined.withColumns({"__gaps": F.when(F.col("__new").isNotNull(), F.split(text, ANY, -1)), "__old": F.when(F.col("__new").isNotNull(), old)})
+    old = F.regexp_extract_all("__text", F.lit(ANY), 0)
+    joined = joined.withColumns({"__gaps": F.when(F.col("__new").isNotNull(), F.split("__text", ANY, -1)), "__old": F.when(F.col("__new").isNotNull(), old)})
     title = lambda i: F.regexp_extract(F.get("__old", i), rf"^(?:{'|'.join((*MALE, *FEMALE, *OTHER))})\.? ", 0)
     entity = lambda i: F.concat(title(i), F.get("__new", i))
     whole = F.array_join(F.transform("__gaps", lambda gap, i: F.concat(gap, F.when(i < F.size("__old"), entity(i)).otherwise(""))), "")
-    out = joined.withColumns({text_col: F.when(F.col("__new").isNull(), F.col(text_col)).otherwise(whole), "n_entities": F.coalesce(F.size("__old"), F.lit(0)).cast("long")})
-    return out.drop("__id", "__hash", "__eid", "__ehash", "__new", "__gaps", "__old")
+    new = {text_col: F.when(F.col("__new").isNull(), F.col("__row").getField(text_col)).otherwise(whole), "n_entities": F.coalesce(F.size("__old"), F.lit(0)).cast("long")}
+    columns = [*docs.columns, *(["n_entities"] if "n_entities" not in docs.columns else [])]
+    return joined.select(*[(new[c] if c in new else F.col("__row").getField(c)).alias(c) for c in columns])
