@@ -6,8 +6,9 @@ n-gram that the corpus hardly has says hardly anything, whichever side it is on.
 n-grams of the log of the two probabilities' ratio. It is kept if it passes the base rules and its score is at least
 THRESHOLD.
 
-All the given ids are trusted; they are joined by a shuffle. Only one number for each of BUCKETS buckets is broadcast.
-Everything runs on built-in functions.
+All the given ids are trusted; they are joined by a shuffle, which takes only the documents whose id's hash has its bit set
+in a bitmap of MARKS bits, made from the trusted ids. Only this bitmap (MARKS / 8 bytes) and one number for each of BUCKETS
+buckets are broadcast, whatever the corpus. Everything runs on built-in functions.
 
 Repeated three-word windows are found inside each document: 64-bit hashes of the windows are packed with their places
 (40 and 24 bits) and sorted, and neighbours with equal hashes are repeats. Where two hashes share 40 bits, and in
@@ -30,6 +31,8 @@ THRESHOLD = -0.15
 #: Characters that count as symbols. Fixed values.
 SYMBOLS = "#*$%&|<>"
 PLACE = (1 << 24) - 1
+#: Bits of the trusted ids' bitmap. The more ids, the more other documents are shuffled with the trusted ones; none is lost.
+MARKS = 1 << 26
 
 
 def repeat_columns(d: DataFrame) -> DataFrame:
@@ -82,11 +85,23 @@ def ngrams(docs: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFram
     return pairs.select(*keys, F.explode(both).alias("bucket")).filter("bucket IS NOT NULL")
 
 
+def flagged(docs: DataFrame, chosen: DataFrame, marks: int = MARKS) -> DataFrame:
+    """docs (doc_id, text) -> text, target: 1 where doc_id is among chosen (distinct, written), else null."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(marks)) + 1
+    spread = chosen.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).repartition("part")
+    bitmap = spread.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    d = docs.withColumns({"part": F.bitmap_bucket_number(slot), "bit": F.bitmap_bit_position(slot).cast("int")}).join(F.broadcast(bitmap), "part", "left")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    d = d.withColumn("maybe", F.coalesce(F.call_function("shiftright", byte, F.col("bit") % 8).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
+    # A merge join at every size: the plan that is measured on little is the plan for much.
+    inside = attach(d.filter("maybe").select("doc_id", "text"), chosen.withColumn("target", F.lit(1)).hint("merge"), ["doc_id"])
+    return inside.select("text", "target").unionAll(d.filter("NOT maybe").select("text", F.lit(None).cast("int").alias("target")))
+
+
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """bucket and llr of every bucket of docs (doc_id, text); trusted: ids (doc_id)."""
     chosen = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    flagged = attach(docs, chosen.withColumn("target", F.lit(1)), ["doc_id"])
-    counts = ngrams(flagged, ["target"], buckets).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("aim"))
+    counts = ngrams(flagged(docs, Table(chosen, "trusted").df), ["target"], buckets).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("aim"))
     table = Table(counts, "ngrams").df
     sums = table.agg(F.sum("raw"), F.sum("aim")).first()
     raw, aim = (float(x or 0) for x in sums)
