@@ -96,6 +96,24 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "left
     return joined.drop("__part")
 
 
+#: Bits of the bitmap that `marked` broadcasts.
+MARKS = 1 << 26
+
+
+def marked(rows: DataFrame, wanted: DataFrame, keys: list[str], marks: int = MARKS) -> DataFrame:
+    """rows with maybe: false only where no row of wanted has these keys.
+
+    The hashes of wanted's keys set bits of a bitmap, which is all that is broadcast: marks / 8 bytes (8 MB), whatever the
+    corpus. The more keys, the more other rows it lets through to the join that decides; none that belongs is lost."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(marks)) + 1
+    part, bit = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot).cast("int")
+    bitmap = wanted.select(part.alias("__mark"), F.bitmap_bit_position(slot).alias("__bit")).repartition("__mark").groupBy("__mark").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    found = rows.withColumns({"__mark": part, "__bit": bit}).join(F.broadcast(bitmap), "__mark", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    isset = F.call_function("shiftright", byte, F.col("__bit") % 8).bitwiseAND(F.lit(1)) == 1
+    return found.withColumn("maybe", F.coalesce(isset, F.lit(False))).select(*rows.columns, "maybe")
+
+
 def among(rows: DataFrame, keys: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
     """The rows whose key is in keys, a written table: broadcast up to `most` keys (16 MB), shuffled beyond."""
     if keys.count() <= most:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoscope.llm.common import Table, attach, small, text_of
+from lithoscope.llm.common import Table, attach, marked, small, text_of
 from lithoscope.llm.linking import connected_components, link_buckets
 
 WORDS, HASHES, ROWS, BITS = 5, 128, 4, 4
@@ -148,7 +148,10 @@ class Sets:
 
     def of(self, nodes: DataFrame) -> Table:
         rows = Table(self.firsts.join(nodes, "node", "left_semi"), "nodes").df
-        return Table(full_sets(self.plain.join(rows, ["doc_id", "row_hash"]).dropDuplicates(["node"]).select("node", "text"), self.k), "sets")
+        # Only texts that may be wanted are shuffled; a merge join at every size, so that little is planned as much is.
+        texts = marked(self.plain, rows, ["doc_id", "row_hash"]).filter("maybe").drop("maybe")
+        chosen = attach(texts, rows.hint("merge"), ["doc_id", "row_hash"], "inner")
+        return Table(full_sets(chosen.dropDuplicates(["node"]).select("node", "text"), self.k), "sets")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the threshold. Only the pairs' own texts are read again."""

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithoscope.llm.common import Table, attach, text_of, without_spaces, words_of
+from lithoscope.llm.common import MARKS, Table, attach, marked, text_of, without_spaces, words_of
 
 BUCKETS = 1 << 18
 SMOOTHING = 4.0
@@ -31,8 +31,6 @@ THRESHOLD = -0.15
 #: Characters that count as symbols. Fixed values.
 SYMBOLS = "#*$%&|<>"
 PLACE = (1 << 24) - 1
-#: Bits of the trusted ids' bitmap. The more ids, the more other documents are shuffled with the trusted ones; none is lost.
-MARKS = 1 << 26
 
 
 def repeat_columns(d: DataFrame) -> DataFrame:
@@ -87,12 +85,7 @@ def ngrams(docs: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFram
 
 def flagged(docs: DataFrame, chosen: DataFrame, marks: int = MARKS) -> DataFrame:
     """docs (doc_id, text) -> text, target: 1 where doc_id is among chosen (distinct, written), else null."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(marks)) + 1
-    spread = chosen.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).repartition("part")
-    bitmap = spread.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    d = docs.withColumns({"part": F.bitmap_bucket_number(slot), "bit": F.bitmap_bit_position(slot).cast("int")}).join(F.broadcast(bitmap), "part", "left")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    d = d.withColumn("maybe", F.coalesce(F.call_function("shiftright", byte, F.col("bit") % 8).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
+    d = marked(docs.select("doc_id", "text"), chosen, ["doc_id"], marks)
     # A merge join at every size: the plan that is measured on little is the plan for much.
     inside = attach(d.filter("maybe").select("doc_id", "text"), chosen.withColumn("target", F.lit(1)).hint("merge"), ["doc_id"])
     return inside.select("text", "target").unionAll(d.filter("NOT maybe").select("text", F.lit(None).cast("int").alias("target")))
